@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktide.llm import bpe, quality
+from talktide.llm import bpe, postings, quality, simhash, units
 from talktide.llm.common import table
 
 
@@ -23,6 +23,16 @@ def pre_token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = postings.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
@@ -33,9 +43,32 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = units.dedup(table(spark, sf_dir, "documents"), "line")
+    return found.select("doc_id", "n_units", "n_removed", "removed_chars", "spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS unit_no, unnest(l) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), normal AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain,
+    coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+  FROM lines
+), ranked AS (
+  SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, unit_no) > 1 AS gone FROM normal
+)
+SELECT doc_id, count(*) FILTER (plain <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS removed_chars,
+  coalesce(string_agg(s || ':' || (s + length(unit)), ',' ORDER BY unit_no) FILTER (gone), '') AS spans,
+  sha256(coalesce(string_agg(unit, chr(10) ORDER BY unit_no) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op8_byte_bpe)}
+    return {f.__name__: f for f in (op3_decontamination, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_unit_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_unit_dedup": OP9_SQL}
