@@ -16,7 +16,6 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +37,11 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     if not len(row):
         return out
-    each = words.cast(pa.large_binary()).take(pa.array(index))
-    size = pc.binary_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+    each = words.cast(pa.large_binary()).to_pylist()
+    size = np.fromiter(map(len, each), np.int64, len(each))[index]
     end = np.cumsum(size + 1) - 1
     begin = end - size
-    whole = pa.py_buffer(pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(each)], pa.int64()), each), b" ")[0].as_buffer()).to_pybytes()
+    whole = b" ".join(map(each.__getitem__, index.tolist()))
     n = np.bincount(row, minlength=len(texts))
     first = (np.cumsum(n) - n)[n > 0]
     made = np.maximum(n[n > 0] - shingle + 1, 1)
