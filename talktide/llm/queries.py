@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktide.llm import bpe, postings, quality, simhash, units
+from talktide.llm import bpe, postings, quality, simhash, suffix, units
 from talktide.llm.common import table
 
 
@@ -48,6 +48,12 @@ def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", "spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS unit_no, unnest(l) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
@@ -67,7 +73,7 @@ FROM ranked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_unit_dedup)}
+    return {f.__name__: f for f in (op3_decontamination, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
