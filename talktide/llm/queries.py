@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktide.llm import bpe, postings, quality, simhash, suffix, units
+from talktide.llm import bpe, ngram, postings, quality, simhash, suffix, units
 from talktide.llm.common import table
 
 
@@ -23,6 +23,10 @@ def pre_token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = postings.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -73,7 +77,7 @@ FROM ranked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_ngram_trie, op3_decontamination, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
