@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from talktide.llm.common import bound_batches, documents_of
 
 SHIFT = 0x100  # byte b is the character U+0100 + b
-CACHE = 400_000  # pre-tokens that a worker remembers; a bound on memory only
+CACHE = 1_000_000  # pre-tokens that a worker remembers; a bound on memory only
 
 
 def _varint(n: int) -> bytes:
@@ -77,10 +78,10 @@ class Codec:
         self.table = {b: chr(SHIFT + b) for b in range(256)}
 
     def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.known]
+        new = tokens.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known = {}
-            new = list(tokens)
+            new = tokens
         rest = []
         for t in new:
             at = self.whole.get(t.encode())
@@ -88,14 +89,17 @@ class Codec:
                 rest.append(t)
             else:
                 self.known[t] = at.to_bytes(4, "little")
-        for t, ids in zip(rest, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in rest]), strict=True):
-            self.known[t] = np.array(ids, "<u4").tobytes()
+        for t, ids in zip(rest, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in rest], num_threads=1), strict=True):
+            self.known[t] = array("I", ids).tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        tokens = [self.find(t) for t in texts]
+        self.learn(set().union(*tokens))
+        return [b"".join(map(self.known.__getitem__, t)) for t in tokens]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        tokens = self.find(text)
-        self.learn(set(tokens))
-        return b"".join(map(self.known.__getitem__, tokens))
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.back.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -128,7 +132,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             more = {c: batch.column(2 + i) for i, c in enumerate(keep)}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([own.decode(x) for x in ids], pa.binary())} | more)
 
