@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktide.llm import bpe, ngram, postings, quality, simhash, suffix, units
+from talktide.llm import bpe, ngram, pii, postings, quality, simhash, suffix, units
 from talktide.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_terms")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), pre_token_pattern())
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -77,7 +82,7 @@ FROM ranked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_trie, op3_decontamination, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_ngram_trie, op3_decontamination, op5_simhash, op6_quality_rules, op7_disclosure, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
