@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktide.llm import bpe, ngram, pii, postings, quality, simhash, suffix, units
+from talktide.llm import bpe, fuzzy_lines, ngram, pii, postings, quality, simhash, suffix, units
 from talktide.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -82,7 +87,7 @@ FROM ranked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_trie, op3_decontamination, op5_simhash, op6_quality_rules, op7_disclosure, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_ngram_trie, op3_decontamination, op4_fuzzy_lines, op5_simhash, op6_quality_rules, op7_disclosure, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
