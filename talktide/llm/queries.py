@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktide.llm import bpe, fuzzy_lines, ngram, pii, postings, quality, simhash, suffix, units
+from talktide.llm import bpe, fuzzy_lines, ngram, pii, postings, quality, simhash, suffix, token_files, units
 from talktide.llm.common import table
 
 
@@ -23,6 +23,10 @@ def pre_token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.counts(table(spark, sf_dir, "documents"), ranks_path(), pre_token_pattern())
+
+
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,7 @@ FROM ranked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_trie, op3_decontamination, op4_fuzzy_lines, op5_simhash, op6_quality_rules, op7_disclosure, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_trie, op3_decontamination, op4_fuzzy_lines, op5_simhash, op6_quality_rules, op7_disclosure, op8_byte_bpe, op9_unit_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
