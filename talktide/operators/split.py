@@ -204,6 +204,17 @@ def split_texts(texts: DataFrame, similarity: Callable[[str, str], float] | None
     return texts.select("media_id", "lang", "text", "segment_ends", "turns").mapInArrow(made, f"media_id {kind}, sentences {TYPE}, removed array<int>")
 
 
+def speaker_changes(sentence: Column) -> Column:
+    """Whether a sentence's utterances have several known speakers."""
+    known = F.array_distinct(F.filter(F.transform(sentence["utterances"], lambda u: u["speaker"]), lambda s: s.isNotNull()))
+    return F.size(known) > 1
+
+
+def first_speaker(sentence: Column) -> Column:
+    """The first utterance's speaker, the sentence's own where it has no utterances."""
+    return F.when(F.size(sentence["utterances"]) > 0, F.coalesce(F.try_element_at(sentence["utterances"], F.lit(1))["speaker"], sentence["speaker"])).otherwise(sentence["speaker"])
+
+
 # ---- the word rules as columns
 
 def clean(word: Column) -> Column:
