@@ -9,7 +9,9 @@ task bounded by the block size, whatever the size of the corpus.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -57,8 +59,11 @@ def scratch_table(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect, so that Spark's cleaner deletes the shuffle files of finished steps."""
-    spark.sparkContext._jvm.System.gc()
+    """Let go of finished steps' frames here and in the driver's JVM, so that Spark's cleaner deletes their shuffle files."""
+    for _ in range(2):  # what the first round lets go of, the second one finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works on its own thread
 
 
 def partitions_for(spark: SparkSession, size: float, per_partition: float, least: int | None = None) -> int:
