@@ -13,15 +13,13 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words in the contracts: space and \t \n \v \f \r.
-SPACES = " \t\n\v\f\r"
 BATCH_BYTES = 4 << 20
 
 
@@ -71,11 +69,6 @@ def partitions_for(spark: SparkSession, size: float, per_partition: float, least
     return int(max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_partition)))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; it decides only numbers of partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def bounded_ids(df: DataFrame, most: int) -> np.ndarray | None:
     """The sorted distinct values of df's only column if they are `most` or fewer, else None; nulls are left out."""
     values = df.where(df[0].isNotNull()).distinct().limit(most + 1).toArrow().column(0)
@@ -83,7 +76,7 @@ def bounded_ids(df: DataFrame, most: int) -> np.ndarray | None:
 
 
 def flat_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words of a batch of texts, split at SPACES: (row of each word, dictionary of distinct words, index of each word)."""
+    """Words of a batch of texts, split at space and \t \n \v \f \r: (row of each word, dictionary of distinct words, index of each word)."""
     import pyarrow.compute as pc
 
     texts = texts.cast(pa.large_string())
@@ -220,15 +213,6 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tu
         yield key, group
 
 
-def exchange(df: DataFrame, key: str, n: int, body: Callable, schema: str) -> DataFrame:
-    """Rows dealt to n partitions by key; body gets the Arrow batches of a partition sorted by key."""
-    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(body, schema)
-
-
-def one_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 @contextlib.contextmanager
 def conf(spark: SparkSession, **settings: str):
     """Session settings (dots as double underscores) held for a while."""
