@@ -37,7 +37,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fuzzy_lines.dedup(table(spark, sf_dir, "documents"))
+    found = fuzzy_lines.dedup(table(spark, sf_dir, "documents"), bits=None)
     return found.select("doc_id", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
