@@ -25,7 +25,8 @@ PATTERNS = {
 #: What a text must hold for its pattern to be tried.
 NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9]"), "phone": lambda t: F.contains(t, F.lit("+"))}
 TERM = r"[\p{L}\p{N}]+"
-SUPPORT = 3  # documents that must hold both the entity and the term
+SUPPORT = 3  # documents that hold both the entity and the term, from which on their number is taken as it is
+DISCOUNT = 0.9  # what a single such document is discounted by; two of them by half of it
 GENERALISE, REMOVE = 0.8, 0.95  # disclosure
 CHUNK = 256
 
@@ -93,18 +94,19 @@ def _terms(text: Column) -> Column:
 def disclosing(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure): terms whose disclosure of a protected entity is `least` or more.
 
-    Numbers of documents are taken over all of docs. Before anything is shuffled, each task adds up its own terms.
+    Numbers of documents are taken over all of docs. Every entity is examined; where fewer than `support` documents hold it
+    beside the term, their number is discounted, so that a single one tells little unless the corpus is large. Before anything is shuffled, each task adds up its own terms.
     """
     value = lambda k: F.transform(k, lambda m: F.concat(F.lit(k + ":"), F.lower(m["value"]) if k in ("email", "ip") else F.regexp_replace(m["value"], "[^0-9]", "")))
     held = base.where("body is not null").select("t1", "t2", "body", F.array_distinct(F.flatten(F.array(*(value(k) for k in KINDS)))).alias("entities"))
-    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    # a document's entities that are frequent enough, beside its text
-    kept = held.select("t1", "t2", "body", F.explode("entities").alias("entity")).join(entities, "entity")
-    pairs = kept.select("entity", "n_e", F.explode(_terms(F.col("body"))).alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    each = held.select("t1", "t2", "body", F.explode("entities").alias("entity"))
+    kept = each.join(each.groupBy("entity").agg(F.count("*").alias("n_e")), "entity")
+    pairs = kept.select("entity", "n_e", F.explode(_terms(F.col("body"))).alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"))
     pairs = scratch_table(pairs)
     total = base.count()
     terms = documents_of(docs, id_col, text_col).select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
+    sure = F.col("n_te") - F.when(F.col("n_te") < support, F.lit(DISCOUNT) / F.col("n_te")).otherwise(0.0)
+    pmi = F.log2(sure * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     # an entity in every document has no content to disclose
     return pairs.join(terms, "term").where(content > 0).select("entity", "term", F.round(pmi / content, 9).alias("disclosure")).where(F.col("disclosure") >= least)
