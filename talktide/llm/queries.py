@@ -62,7 +62,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = units.dedup(table(spark, sf_dir, "documents"), "line")
+    found = units.dedup(table(spark, sf_dir, "documents"), "sentence", least_run=units.LEAST_RUN)
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", "spans", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -74,19 +74,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(range(len(l))) AS unit_no, unnest(l) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
-), normal AS (
-  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain,
-    coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+  SELECT doc_id, unnest(range(len(l))) AS b, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), cuts AS (
+  SELECT *, string_split(regexp_replace(line, '([.!?][ \t\x0B\f\r]+)', '\1' || chr(1), 'g'), chr(1)) AS c,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
   FROM lines
+), pieces AS (
+  SELECT doc_id, b, line, at, len(c) AS n, unnest(range(len(c))) AS i, unnest(c) AS whole FROM cuts
+), placed AS (
+  SELECT *, CASE WHEN i + 1 < n THEN regexp_replace(whole, '[ \t\x0B\f\r]+$', '') ELSE whole END AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY b, i) - 1 AS unit_no,
+    at + coalesce(sum(length(whole)) OVER (PARTITION BY doc_id, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+  FROM pieces
+), normal AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain FROM placed
 ), ranked AS (
-  SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, unit_no) > 1 AS gone FROM normal
+  SELECT *, plain <> '' AS real, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, unit_no) > 1 AS again,
+    CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS words
+  FROM normal
+), parted AS (
+  SELECT *, sum((real AND NOT again)::INT) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS UNBOUNDED PRECEDING) AS island FROM ranked
+), judged AS (
+  SELECT *, again AND coalesce(sum(words) FILTER (again) OVER (PARTITION BY doc_id, island), 0) >= 25 AS gone FROM parted
+), ended AS (
+  SELECT *, max(unit_no) FILTER (NOT gone) OVER (PARTITION BY doc_id, b) AS final FROM judged
+), blocks AS (
+  SELECT doc_id, b, CASE WHEN NOT bool_or(gone) THEN any_value(line)
+      WHEN bool_or(real AND NOT gone) THEN string_agg(CASE WHEN unit_no = final THEN unit ELSE whole END, '' ORDER BY unit_no) FILTER (NOT gone) END AS part,
+    count(*) FILTER (real) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(unit)) FILTER (gone), 0) AS chars,
+    string_agg(s || ':' || (s + length(unit)), ',' ORDER BY unit_no) FILTER (gone) AS spans
+  FROM ended GROUP BY doc_id, b
 )
-SELECT doc_id, count(*) FILTER (plain <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
-  coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS removed_chars,
-  coalesce(string_agg(s || ':' || (s + length(unit)), ',' ORDER BY unit_no) FILTER (gone), '') AS spans,
-  sha256(coalesce(string_agg(unit, chr(10) ORDER BY unit_no) FILTER (NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+SELECT doc_id, sum(n_units)::BIGINT AS n_units, sum(n_removed)::BIGINT AS n_removed, sum(chars)::BIGINT AS removed_chars,
+  coalesce(string_agg(spans, ',' ORDER BY b), '') AS spans, sha256(coalesce(string_agg(part, chr(10) ORDER BY b), '')) AS kept_sha256
+FROM blocks GROUP BY doc_id
 """
 
 
