@@ -77,13 +77,13 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS b, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), cuts AS (
   SELECT *, string_split(regexp_replace(line, '([.!?][ \t\x0B\f\r]+)', '\1' || chr(1), 'g'), chr(1)) AS c,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_at
   FROM lines
 ), pieces AS (
-  SELECT doc_id, b, line, at, len(c) AS n, unnest(range(len(c))) AS i, unnest(c) AS whole FROM cuts
+  SELECT doc_id, b, line, line_at, len(c) AS n, unnest(range(len(c))) AS i, unnest(c) AS whole FROM cuts
 ), placed AS (
   SELECT *, CASE WHEN i + 1 < n THEN regexp_replace(whole, '[ \t\x0B\f\r]+$', '') ELSE whole END AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY b, i) - 1 AS unit_no,
-    at + coalesce(sum(length(whole)) OVER (PARTITION BY doc_id, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+    line_at + coalesce(sum(length(whole)) OVER (PARTITION BY doc_id, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
   FROM pieces
 ), normal AS (
   SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain FROM placed
