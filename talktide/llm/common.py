@@ -56,6 +56,20 @@ def scratch_table(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with at least this share of all rows are at most as many, whatever the corpus: what is joined to them is broadcast.
+HOT = 1 << 14
+
+
+def join_hot(rows: DataFrame, few: DataFrame, on: list[str], hot: int | None = None) -> DataFrame:
+    """rows joined with `few`, which holds a row per key and, as n, how many of the rows have that key; both are stored tables.
+
+    The rows of frequent keys aren't sent, so that they never meet in one task; the others are too few to make one long.
+    """
+    often = F.col("n") * (hot or HOT) >= F.lit(rows.count())
+    rest = rows.join(F.broadcast(few.where(often).select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(few.where(often)), on).union(rest.join(few.where(~often), on))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of finished steps' frames here and in the driver's JVM, so that Spark's cleaner deletes their shuffle files."""
     for _ in range(2):  # what the first round lets go of, the second one finds

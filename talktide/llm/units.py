@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktide.llm.common import bound_batches, documents_of, scratch_table
+from talktide.llm.common import bound_batches, documents_of, join_hot, scratch_table
 
 #: What separates the blocks of a text, and the units within a block.
 SEPARATORS = {"line": ("\n", None), "paragraph": ("\n\n", None), "sentence": ("\n", r"(?<=[.!?])[ \t\x0B\f\r]+")}
@@ -24,9 +24,6 @@ BLANK = " \t\n\v\f\r"
 #: Words that neighbouring repeated units must hold together to go: half of a passage of 50 words, as its first and last
 #: sentence may run on into the text around it.
 LEAST_RUN = 25
-#: Digests with at least this share of all units are at most as many, whatever the corpus: they are broadcast, and the
-#: occurrences of any other digest are too few to make a task long.
-HOT = 1 << 14
 
 
 def normalised(unit: Column) -> Column:
@@ -57,12 +54,7 @@ def duplicates(rows: DataFrame, unit: str = "line") -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin", "unit_no")
     # a row per digest and task is sent, however often a unit occurs
     firsts = scratch_table(stored.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    hot = F.col("n") * HOT >= F.lit(stored.count())
-    often, seldom = F.broadcast(firsts.where(hot).drop("n")), firsts.where(~hot).drop("n")
-    # occurrences of the frequent digests aren't sent: they never meet in one task
-    rest = stored.join(F.broadcast(firsts.where(hot).select("h1", "h2")), ["h1", "h2"], "left_anti")
-    found = stored.join(often, ["h1", "h2"]).union(rest.join(seldom, ["h1", "h2"]))
-    return found.where(~F.col("first").eqNullSafe(rank)).select("doc_id", "twin", "unit_no")
+    return join_hot(stored, firsts, ["h1", "h2"]).where(~F.col("first").eqNullSafe(rank)).select("doc_id", "twin", "unit_no")
 
 
 RESULT = "doc_id long, n_units long, n_removed long, removed_chars long, spans string, kept string"

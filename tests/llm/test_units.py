@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from talktide.llm import units
+from talktide.llm import common, units
 
 
 def brute(docs, by):
@@ -65,6 +65,6 @@ def test_sentences(spark, least_run):
 def test_one_digest_of_a_third_of_all(spark, monkeypatch):
     docs = [(i, "the same line\n" * 5 + f"own {i}\nshared {i // 2}") for i in range(300)]
     for hot in (1, 4, 1 << 14):  # none, the most frequent and all of the digests are broadcast
-        monkeypatch.setattr(units, "HOT", hot)
+        monkeypatch.setattr(common, "HOT", hot)
         found = units.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
         assert sum(r.n_removed for r in found) == 300 * 5 - 1 + 150 and sum(r.n_units for r in found) == 300 * 7
