@@ -4,7 +4,8 @@ Only DataFrame functions. The patterns give e-mail addresses, IP addresses, card
 points. Every value found so is a protected entity e. For a term t that occurs beside e, the corpus estimates how much
 t tells about e: PMI(t; e) = log2(n(t,e) N / (n(t) n(e))) with numbers of documents n. It is at most the information
 content IC(e) = log2(N / n(e)), which it reaches when t never occurs without e. In documents that hold e, terms whose
-disclosure PMI / IC reaches a threshold are generalised, beyond a second one removed.
+disclosure PMI / IC reaches a threshold are generalised, beyond a second one removed. One or two common documents are
+little evidence, so that a share of their disclosure counts; the shares don't depend on the size of the corpus.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktide.llm.common import documents_of, scratch_table
+from talktide.functions.rewrite import let
+from talktide.llm.common import documents_of, join_hot, scratch_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that the matcher neither recurses nor goes back over a run of characters again.
@@ -25,8 +27,8 @@ PATTERNS = {
 #: What a text must hold for its pattern to be tried.
 NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9]"), "phone": lambda t: F.contains(t, F.lit("+"))}
 TERM = r"[\p{L}\p{N}]+"
-SUPPORT = 3  # documents that hold both the entity and the term, from which on their number is taken as it is
-DISCOUNT = 0.9  # what a single such document is discounted by; two of them by half of it
+EVIDENCE = {1: 0.5, 2: 0.85}  # share of the disclosure that counts, by the number of documents that hold both; 1 from three on
+BROADCAST = 1 << 17  # rows of a term and an entity that are broadcast; more are joined by a shuffle
 GENERALISE, REMOVE = 0.8, 0.95  # disclosure
 CHUNK = 256
 
@@ -44,12 +46,17 @@ def running(sizes: Column) -> Column:
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, leftmost and non-overlapping, in code points."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(F.slice(between, 1, F.size(found)), lambda m: F.length(m))
-    ends = running(F.zip_with(gaps, sizes, lambda a, b: a + b))
-    starts = F.zip_with(ends, gaps, lambda a, b: a + b)
-    return F.transform(F.arrays_zip(starts.alias("start"), sizes.alias("size"), found.alias("value")), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), x["value"].alias("value")))
+
+    def of(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return let(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda steps: placed(found, steps))
+
+    def placed(found: Column, steps: Column) -> Column:
+        each = F.arrays_zip(running(steps).alias("before"), steps.alias("step"), found.alias("value"))
+        end = lambda x: x["before"] + x["step"]
+        return F.transform(each, lambda x: F.struct((end(x) - F.length(x["value"])).alias("start"), end(x).alias("end"), x["value"].alias("value")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -91,39 +98,65 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def _value(kind: str) -> Column:
+    """What stands for an entity: kind and lower case, or digits."""
+    return F.transform(kind, lambda m: F.concat(F.lit(kind + ":"), F.lower(m["value"]) if kind in ("email", "ip") else F.regexp_replace(m["value"], "[^0-9]", "")))
+
+
+def _holders(base: DataFrame) -> DataFrame:
+    """(t1, t2, m, body, ranges, entities): every text with an entity once, and how many documents have it."""
+    ranges = F.flatten(F.array(*(F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS)))
+    some = base.where("body is not null").select("t1", "t2", "body", ranges.alias("ranges"), F.array_distinct(F.flatten(F.array(*map(_value, KINDS)))).alias("entities"))
+    return scratch_table(some.groupBy("t1", "t2").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("body", "ranges", "entities"))))
+
+
+def _told(docs: DataFrame, base: DataFrame, own: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, entity) of every text and entity of it that terms may disclose, and (entity, term, disclosure) as `disclosing` gives it."""
+    total = float(base.count())
+    # fewer common documents can't reach `least`, so an entity or a pair of fewer needs no further look
+    fewest = next(n for n in (1, 2, 3) if EVIDENCE.get(n, 1.0) >= least or n == 3)
+    each = scratch_table(own.select("t1", "t2", "m", F.explode("entities").alias("entity")))
+    counts = scratch_table(each.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count("*").alias("n")).where(F.col("n_e") >= fewest))
+    held = scratch_table(join_hot(each, counts, ["entity"]).select("t1", "t2", "m", "entity", "n_e"))
+    words = own.join(held.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("t1", "t2", F.explode(_terms(F.col("body"))).alias("term"))
+    # ids meet, not texts; a row per pair and task is sent
+    pairs = scratch_table(words.join(held, ["t1", "t2"]).groupBy("entity", "n_e", "term").agg(F.sum("m").alias("n_te")).where(F.col("n_te") >= fewest))
+    names = scratch_table(pairs.select("term").distinct())
+    names = F.broadcast(names) if names.count() <= BROADCAST else names
+    terms = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(names, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    share = F.lit(1.0)
+    for n, x in EVIDENCE.items():
+        share = F.when(F.col("n_te") == n, x).otherwise(share)
+    pmi = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    content = F.log2(F.lit(total) / F.col("n_e"))
+    # an entity in every document has no content to disclose
+    told = pairs.join(terms, "term").where(content > 0).select("entity", "term", F.round(pmi / content * share, 9).alias("disclosure")).where(F.col("disclosure") >= least)
+    return held.select("t1", "t2", "entity"), told
+
+
+def disclosing(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure): terms whose disclosure of a protected entity is `least` or more.
 
-    Numbers of documents are taken over all of docs. Every entity is examined; where fewer than `support` documents hold it
-    beside the term, their number is discounted, so that a single one tells little unless the corpus is large. Before anything is shuffled, each task adds up its own terms.
+    Numbers of documents are taken over all of docs. Before anything is shuffled, each task adds up its own terms.
     """
-    value = lambda k: F.transform(k, lambda m: F.concat(F.lit(k + ":"), F.lower(m["value"]) if k in ("email", "ip") else F.regexp_replace(m["value"], "[^0-9]", "")))
-    held = base.where("body is not null").select("t1", "t2", "body", F.array_distinct(F.flatten(F.array(*(value(k) for k in KINDS)))).alias("entities"))
-    each = held.select("t1", "t2", "body", F.explode("entities").alias("entity"))
-    kept = each.join(each.groupBy("entity").agg(F.count("*").alias("n_e")), "entity")
-    pairs = kept.select("entity", "n_e", F.explode(_terms(F.col("body"))).alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"))
-    pairs = scratch_table(pairs)
-    total = base.count()
-    terms = documents_of(docs, id_col, text_col).select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    sure = F.col("n_te") - F.when(F.col("n_te") < support, F.lit(DISCOUNT) / F.col("n_te")).otherwise(0.0)
-    pmi = F.log2(sure * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    # an entity in every document has no content to disclose
-    return pairs.join(terms, "term").where(content > 0).select("entity", "term", F.round(pmi / content, 9).alias("disclosure")).where(F.col("disclosure") >= least)
+    return _told(documents_of(docs, id_col, text_col), base, _holders(base), least)[1]
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, t1, t2, email, ip, card, phone, terms) of every row; terms: array<struct<start, end, disclosure>>, none inside a base span."""
     base = scratch_table(found(docs, id_col, text_col))
-    told = scratch_table(disclosing(docs, base, id_col, text_col))
-    value = lambda k: F.transform(k, lambda m: F.concat(F.lit(k + ":"), F.lower(m["value"]) if k in ("email", "ip") else F.regexp_replace(m["value"], "[^0-9]", "")))
-    ranges = F.flatten(F.array(*(F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS)))
-    held = base.where("body is not null").select("t1", "t2", "body", ranges.alias("ranges"), F.array_distinct(F.flatten(F.array(*(value(k) for k in KINDS)))).alias("entities")).dropDuplicates(["t1", "t2"])
-    wanted = held.select("t1", "t2", F.explode("entities").alias("entity")).join(told, "entity").groupBy("t1", "t2", "term").agg(F.max("disclosure").alias("disclosure"))
-    some = held.join(wanted.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
-    tokens = some.select("t1", "t2", "ranges", F.explode(matches(F.col("body"), TERM)).alias("m")).select("t1", "t2", "ranges", F.lower("m.value").alias("term"), "m.start", "m.end")
-    inside = F.exists("ranges", lambda r: (r["start"] < F.col("end")) & (F.col("start") < r["end"]))
-    terms = tokens.join(wanted, ["t1", "t2", "term"]).where(~inside).groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    own = _holders(base)
+    held, told = _told(documents_of(docs, id_col, text_col), base, own, GENERALISE)
+    told = scratch_table(told)
+    few = told.count() <= BROADCAST
+    wanted = scratch_table(held.join(F.broadcast(told.select("entity").distinct()) if few else told.select("entity").distinct(), "entity", "left_semi"))
+    some = own.join(wanted.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
+    tokens = some.select("t1", "t2", F.explode(matches(F.col("body"), TERM)).alias("m")).select("t1", "t2", F.lower("m.value").alias("term"), "m.start", "m.end")
+    hits = tokens.join(F.broadcast(told) if few else told, "term").join(wanted, ["t1", "t2", "entity"], "left_semi")
+    hits = hits.groupBy("t1", "t2", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    terms = hits.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    outside = F.filter("terms", lambda x: ~F.exists("ranges", lambda r: (r["start"] < x["end"]) & (x["start"] < r["end"])))
+    terms = own.select("t1", "t2", "ranges").join(terms, ["t1", "t2"]).select("t1", "t2", outside.alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
     return base.drop("body").join(terms, ["t1", "t2"], "left").withColumn("terms", F.coalesce("terms", none))
 

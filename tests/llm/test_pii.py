@@ -57,7 +57,8 @@ def brute_terms(docs):
     n_t, n_e = Counter(x for s in terms for x in s), Counter(x for s in entity for x in s)
     n_te = Counter((e, t) for es, ts in zip(entity, terms, strict=True) for e in es for t in ts)
     total = len(docs)
-    bad = {p for p, n in n_te.items() if n >= pii.SUPPORT and total > n_e[p[0]] and round(math.log2(n * total / (n_t[p[1]] * n_e[p[0]])) / math.log2(total / n_e[p[0]]), 9) >= pii.GENERALISE}
+    share = lambda n: {1: 0.5, 2: 0.85}.get(n, 1)
+    bad = {p for p, n in n_te.items() if total > n_e[p[0]] and round(math.log2(n * total / (n_t[p[1]] * n_e[p[0]])) / math.log2(total / n_e[p[0]]) * share(n), 9) >= pii.GENERALISE}
     out = []
     for (_, t), es in zip(docs, entity, strict=True):
         ranges = [tuple(map(int, x.split(":")[1:])) for x in filter(None, base(t).split(","))]
