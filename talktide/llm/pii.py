@@ -158,7 +158,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     outside = F.filter("terms", lambda x: ~F.exists("ranges", lambda r: (r["start"] < x["end"]) & (x["start"] < r["end"])))
     terms = own.select("t1", "t2", "ranges").join(terms, ["t1", "t2"]).select("t1", "t2", outside.alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
-    return base.drop("body").join(terms, ["t1", "t2"], "left").withColumn("terms", F.coalesce("terms", none))
+    # rows of texts that hold nothing, of which one may have many copies, need no look
+    some, nothing = (base.where(c).drop("body") for c in ("body is not null", "body is null"))
+    return some.join(terms, ["t1", "t2"], "left").withColumn("terms", F.coalesce("terms", none)).unionByName(nothing.withColumn("terms", none))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
