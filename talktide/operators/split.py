@@ -231,4 +231,6 @@ def guard_flags(word: Column, after: Column, lang: str) -> dict[str, Column]:
         "numbered_noun": now.isin(L.NUMBERED_NOUNS) & F.btrim(after, F.lit(".,;:!?")).rlike("^[0-9]+$"),
         "participle": now.isin(L.AUXILIARIES) & participle,
         "comparative": (then.isin(L.COMPARATIVES.get(lang, [""])) & now.isin(L.DEGREES.get(lang, [""]))) | (now.isin(L.COMPARATIVES.get(lang, [""])) & after.rlike(r"^\p{Ll}")),
+        "modal_infinitive": now.isin(L.GOVERNORS.get(lang, [""])) & after.rlike(r"^\p{Ll}") & (F.length(then) >= 2) & then.rlike(INFINITIVE.pattern),
+        "infinitive_complement": F.lit(lang == "es") & after.rlike(r"^\p{Ll}") & (F.length(now) >= 2) & now.rlike(INFINITIVE.pattern),
     }
