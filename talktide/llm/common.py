@@ -50,10 +50,24 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_table(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """The rows of df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """The rows of df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The step's shuffle files go when it is written, as nothing can read them again.
+    """
     path = scratch_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", compression).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later step reads."""
+    for t in tables:
+        hadoop = t.sparkSession._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Keys with at least this share of all rows are at most as many, whatever the corpus: what is joined to them is broadcast.
