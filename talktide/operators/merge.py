@@ -21,6 +21,7 @@ from talktide import lexicons as L
 class Sentence(NamedTuple):
     text: str
     speaker: str | None = None
+    utterances: tuple[tuple[str, str | None], ...] = ()  # (text, speaker) of what was said, in order
 
 
 class Merge(NamedTuple):
@@ -45,6 +46,11 @@ def conflict(a: Sentence, b: Sentence) -> str | None:
     return f"different speakers ({a.speaker} vs {b.speaker})" if a.speaker and b.speaker and a.speaker != b.speaker else None
 
 
+def said(sentences: list[Sentence]) -> tuple[tuple[str, str | None], ...]:
+    """The utterances of all, in order: a merged sentence keeps every speaker's part."""
+    return tuple(u for x in sentences for u in x.utterances)
+
+
 LABEL = re.compile(r"([A-Za-z0-9\-]+)\.$")
 TLD = re.compile(rf"^({'|'.join(L.MERGE_TLDS)})(?:\b|\W)(.*)$", re.IGNORECASE)
 DIGITS, FRACTION = re.compile(r"(\d{1,3})\.$"), re.compile(r"^(\d{1,3})(%?)\s*(.*)$")
@@ -84,11 +90,11 @@ def merge_domains(s: list[Sentence], lang: str, log: list[Merge]) -> list[Senten
         if rest in ("", ".", "!", "?") and third:
             joined = f"{joined} {lower_first(third)}"
             log.append(Merge("domain", i, i + 2, "triple_merge", s[i].speaker, s[i + 2].speaker, f"{a} | {b} | {third}", "", joined))
-            return 3, [Sentence(joined, s[i].speaker)]
+            return 3, [Sentence(joined, s[i].speaker, said(s[i : i + 3]))]
         if rest:
             joined = joined + rest if rest[0] in ".!?" else f"{joined} {lower_first(rest)}"
         log.append(Merge("domain", i, i + 1, "domain_pattern_match", s[i].speaker, s[i + 1].speaker, a, b, joined))
-        return 2, [Sentence(joined, s[i].speaker)]
+        return 2, [Sentence(joined, s[i].speaker, said(s[i : i + 2]))]
 
     return _walk(s, rule, log)
 
@@ -110,7 +116,7 @@ def merge_decimals(s: list[Sentence], lang: str, log: list[Merge]) -> list[Sente
         if right[3].lstrip():
             joined = f"{joined} {lower_first(right[3].lstrip())}"
         log.append(Merge("decimal", i, i + 1, "decimal_pattern_match", s[i].speaker, s[i + 1].speaker, a, b, joined))
-        return 2, [Sentence(joined, s[i].speaker)]
+        return 2, [Sentence(joined, s[i].speaker, said(s[i : i + 2]))]
 
     return _walk(s, rule, log)
 
@@ -144,7 +150,7 @@ def merge_emphatic(s: list[Sentence], lang: str, log: list[Merge]) -> list[Sente
         words = ["sí" if lang == "es" and bare(x).lower() in ("si", "sí") else bare(x).lower() for x in run]
         joined = ", ".join([words[0].capitalize(), *words[1:]]) + "."
         log.append(Merge("emphatic", i, n - 1, f"emphatic_repeat_{len(run)}_words", run[0].speaker, run[-1].speaker, " | ".join(map(bare, run)), "", joined))
-        return len(run), [Sentence(joined, run[0].speaker)]
+        return len(run), [Sentence(joined, run[0].speaker, said(run))]
 
     return _walk(s, rule, log) if allowed else s
 
@@ -159,21 +165,34 @@ def apply_passes(sentences: list[Sentence], lang: str | None) -> tuple[list[Sent
     return sentences, log
 
 
-MADE = pa.list_(pa.struct([("text", pa.string()), ("speaker", pa.string())]))
+UTTERANCES = pa.list_(pa.struct([("text", pa.string()), ("speaker", pa.string())]))
+MADE = pa.list_(pa.struct([("text", pa.string()), ("speaker", pa.string()), ("utterances", UTTERANCES)]))
 HISTORY = pa.list_(pa.struct([(k, pa.int32() if k.endswith("_idx") else pa.string()) for k in Merge._fields]))
 
 
+def _read(sentence: dict) -> Sentence:
+    return Sentence(sentence["text"] or "", sentence["speaker"], tuple((u["text"], u["speaker"]) for u in sentence["utterances"] or ()))
+
+
+def _written(sentence: Sentence) -> dict:
+    return {"text": sentence.text, "speaker": sentence.speaker, "utterances": [{"text": t, "speaker": who} for t, who in sentence.utterances]}
+
+
 def format_sentences(texts: DataFrame) -> DataFrame:
-    """(media_id, sentences, history) of (media_id, lang, sentences array<struct<text, speaker>>)."""
+    """(media_id, sentences, history) of (media_id, lang, sentences array<struct<text, speaker>>), whose structs may have utterances."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [apply_passes([Sentence(x["text"] or "", x["speaker"]) for x in s or ()], lang) for lang, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "sentences": pa.array([[x._asdict() for x in s] for s, _ in done], MADE), "history": pa.array([[x._asdict() for x in h] for _, h in done], HISTORY)})
+            done = [apply_passes([_read(x) for x in s or ()], lang) for lang, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "sentences": pa.array([[_written(x) for x in s] for s, _ in done], MADE), "history": pa.array([[x._asdict() for x in h] for _, h in done], HISTORY)})
 
     kind = texts.schema["media_id"].dataType.simpleString()
     history = ", ".join(f"{k}:{'int' if k.endswith('_idx') else 'string'}" for k in Merge._fields)
-    return texts.select("media_id", "lang", F.transform("sentences", lambda x: F.struct(x["text"].alias("text"), x["speaker"].alias("speaker"))).alias("sentences")).mapInArrow(made, f"media_id {kind}, sentences array<struct<text:string,speaker:string>>, history array<struct<{history}>>")
+    spoken = "utterances" in texts.schema["sentences"].dataType.elementType.names
+    pair = lambda u: F.struct(u["text"].alias("text"), u["speaker"].alias("speaker"))
+    utterances = lambda x: F.transform(x["utterances"], pair) if spoken else F.array().cast("array<struct<text:string,speaker:string>>")
+    rows = texts.select("media_id", "lang", F.transform("sentences", lambda x: F.struct(x["text"].alias("text"), x["speaker"].alias("speaker"), utterances(x).alias("utterances"))).alias("sentences"))
+    return rows.mapInArrow(made, f"media_id {kind}, sentences array<struct<text:string,speaker:string,utterances:array<struct<text:string,speaker:string>>>>, history array<struct<{history}>>")
 
 
 def merge_summary(history: DataFrame) -> DataFrame:

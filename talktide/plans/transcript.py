@@ -60,13 +60,10 @@ def transcribe(segments: DataFrame, turns: DataFrame | None = None, lang: str =
     found = sentences(kept, turns, lang, similarity)
     ended = found.withColumn("sentences", F.transform("sentences", lambda s: s.withField("text", T.terminal_punctuation(s["text"], F.lit(lang), "sentence_end"))))
     merged = merge.format_sentences(ended.withColumn("lang", F.lit(lang)))
-    return Transcript(kept, sinks.txt(_with_utterances(merged, ended), lang), ended, merged.select("media_id", F.explode("history").alias("h")).select("media_id", "h.*"), turns)
+    return Transcript(kept, sinks.txt(_spoken(merged), lang), ended, merged.select("media_id", F.explode("history").alias("h")).select("media_id", "h.*"), turns)
 
 
-def _with_utterances(merged: DataFrame, split_: DataFrame) -> DataFrame:
-    """Merged sentences that were left alone keep their utterances; merged ones are one utterance of their speaker."""
+def _spoken(merged: DataFrame) -> DataFrame:
+    """Sentences with their utterances; one without any is an utterance of its speaker."""
     whole = lambda s: F.array(F.struct(s["text"].alias("text"), s["speaker"].alias("speaker")))
-    both = merged.select("media_id", "sentences").join(split_.select("media_id", F.col("sentences").alias("before")), "media_id")
-    old = lambda s: F.try_element_at(F.filter("before", lambda b: b["text"] == s["text"]), F.lit(1))["utterances"]
-    said = lambda s: F.transform(old(s), lambda u: F.struct(u["text"].alias("text"), u["speaker"].alias("speaker")))
-    return both.select("media_id", F.transform("sentences", lambda s: F.struct(s["text"].alias("text"), s["speaker"].alias("speaker"), F.coalesce(said(s), whole(s)).alias("utterances"))).alias("sentences"))
+    return merged.select("media_id", F.transform("sentences", lambda s: s.withField("utterances", F.when(F.size(s["utterances"]) > 0, s["utterances"]).otherwise(whole(s)))).alias("sentences"))
