@@ -38,12 +38,14 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset and there are no other machines."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="talktide-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/talktide-{uuid.uuid4().hex}"
