@@ -54,7 +54,8 @@ def main(args: list[str] | None = None) -> int:
     from talktide.sources import readers, sinks
 
     asked = parser().parse_args(args)
-    spark = session(master=f"local[{threads(asked.cpu_threads)}]")
+    # a number of threads asks for this machine; else spark-submit's master stands, as on a cluster
+    spark = session(master=f"local[{threads(asked.cpu_threads)}]" if asked.cpu_threads or not os.environ.get("SPARK_ENV_LOADED") else None)
     try:
         segments = readers.segments_json(spark, asked.segments)
         turns = readers.turns_json(spark, asked.turns) if asked.turns else None

@@ -425,9 +425,10 @@ def lowercase_first_letter(spark, sf_dir):
 @query()
 def sentence_assembly(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
-    parts = [docs.where(F.col("lang") == k).select("doc_id", "lang", T.assemble(F.concat("text", F.lit(" at 99.9 and")), k).alias("a")) for k in ("en", "fr", "es", "de")]
-    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return every.select("doc_id", "lang", F.posexplode("a.sentences").alias("idx", "sentence"))
+    text = F.concat("text", F.lit(" at 99.9 and"))
+    every = docs.select("doc_id", "lang", by_language(F.col("lang"), {k: T.assemble(text, k) for k in ("en", "fr", "es", "de")}, F.lit(None)).alias("a"))
+    # explode would infer a filter on the array and work out all sentences once more for it
+    return every.select("doc_id", "lang", F.posexplode_outer("a.sentences").alias("idx", "sentence")).where("idx is not null")
 
 
 @query(f"""SELECT doc_id, lang, CASE WHEN len(w) < 5 THEN text ELSE array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i >= 3 AND lower(coalesce(w[i + 1], '')) IN ('dass', 'weil', 'ob', 'wenn') AND NOT ends_with(w[i], ',') THEN w[i] || ',' ELSE w[i] END), ' ') END AS result
