@@ -55,7 +55,7 @@ def blocks(spark: SparkSession, path: str, width: int = 2, separator: int | None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     whole = F.when(F.col("length") % width == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("not a whole number of tokens: "), "path")))
-    cut = files.where("length > 0").select(F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("stream"), F.coalesce(F.try_to_number(F.regexp_extract(name, r"-c(\d+)", 1), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long")).alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((whole - 1) / block))).alias("block"))
+    cut = files.where("length > 0").select(F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("stream"), F.coalesce(F.try_to_number(F.regexp_extract(name, r"-c(\d+)(?:\.[a-z]+)?$", 1), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long")).alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((whole - 1) / block))).alias("block"))
     pieces = cut.select("stream", "file", "block", F.substring("content", (F.col("block") * block + 1).cast("int"), F.lit(block)).alias("raw"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
