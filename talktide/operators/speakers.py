@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,20 +142,96 @@ def utterances(words: DataFrame, ranges: DataFrame) -> DataFrame:
     return runs.groupBy("media_id", "run", "speaker").agg(F.min("word_idx").alias("start_word"), (F.max("word_idx") + 1).alias("end_word"), text.alias("text")).drop("run")
 
 
+#: What one medium's turns are folded into: (media_id, scored and wrong steps).
+SCORED = "media_id {kind}, scored long, wrong long"
+
+
+def _alone(turns: np.ndarray, of: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Of each stretch between two points the number of the only turn (first and last point) that covers it, else -1."""
+    number, many = np.zeros(len(points) + 1, np.int64), np.zeros(len(points) + 1, np.int64)
+    first, last = np.searchsorted(points, turns[:, 0]), np.searchsorted(points, turns[:, 1])
+    for at, sign in ((first, 1), (last, -1)):
+        np.add.at(number, at, sign * of)
+        np.add.at(many, at, sign)
+    number, many = np.cumsum(number), np.cumsum(many)
+    return np.where(many == 1, number, -1)[: max(len(points) - 1, 0)]
+
+
+def _least(turns: np.ndarray, speaker: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Of each stretch between two points the least speaker of the turns that cover it, else -1."""
+    first, last = np.searchsorted(points, turns[:, 0]), np.searchsorted(points, turns[:, 1])
+    out, order, at, active = np.full(max(len(points) - 1, 0), -1, np.int64), np.argsort(first, kind="stable").tolist(), 0, []
+    first, last, speaker = first.tolist(), last.tolist(), speaker.tolist()
+    for k in range(len(out)):
+        while at < len(order) and first[order[at]] <= k:
+            heapq.heappush(active, (speaker[order[at]], last[order[at]]))
+            at += 1
+        while active and active[0][1] <= k:
+            heapq.heappop(active)
+        if active:
+            out[k] = active[0][0]
+    return out
+
+
+def _judged(side: np.ndarray, steps: np.ndarray, speaker: np.ndarray) -> tuple[int, int]:
+    """(scored, wrong) steps of one medium. side: 0 reference; steps: first and last, first and last that is scored; speaker: ranks, -1 for null."""
+    ref, hyp = side == 0, (side == 1) & (speaker >= 0)
+    if not ref.any():
+        return 0, 0
+    points = np.unique(np.r_[steps[ref].ravel(), steps[hyp][:, :2].ravel()])
+    turn = _alone(steps[ref], np.arange(ref.sum()), points)
+    inner, at = steps[ref][turn, 2:], points[:-1]
+    live = np.flatnonzero((turn >= 0) & (at >= inner[:, 0]) & (at < inner[:, 1]))
+    told, said, long_ = speaker[ref][turn[live]], _least(steps[hyp], speaker[hyp], points)[live], np.diff(points)[live]
+    scored, right = int(long_.sum()), int(long_[(said < 0) & (told < 0)].sum())
+    # each hypothesis speaker is the reference speaker of the longest common time, the greatest of equals
+    some = np.flatnonzero(said >= 0)
+    pair, inverse = np.unique(np.c_[said[some], told[some]], axis=0, return_inverse=True)
+    common = np.zeros(len(pair), np.int64)
+    np.add.at(common, inverse.ravel(), long_[some])
+    order = np.lexsort((pair[:, 1], common, pair[:, 0]))
+    best = order[np.r_[pair[order][1:, 0] != pair[order][:-1, 0], True]] if len(order) else order
+    return scored, scored - right - int(common[best].sum())
+
+
 def der(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, step: float = 0.01) -> DataFrame:
     """(media_id, scored, errors, der): share of scored time in which the mapped hypothesis differs from the reference.
 
     Speakers are mapped by the longest common time. Time is looked at in steps; a step within `collar` of a reference
-    edge or under several reference speakers isn't scored.
+    edge or under several reference speakers isn't scored. A turn is one row whatever its length: a sweep over the turns'
+    ends counts the steps of each stretch between them.
     """
-    tick = lambda df: df.select("media_id", "start", "end", "speaker", F.explode(F.sequence(F.ceil(F.col("start") / step), F.ceil(F.col("end") / step) - 1)).alias("k"))
-    ref = tick(reference.where(F.col("end") - F.col("start") > step))
-    at = F.col("k") * step
-    ref = ref.withColumn("near", (at - F.col("start") < collar) | (F.col("end") - at < collar))
-    ref = ref.groupBy("media_id", "k").agg(F.count("*").alias("n"), F.max("near").alias("near"), F.min("speaker").alias("ref")).where("n = 1 and not near")
-    hyp = tick(hypothesis.where(F.col("end") - F.col("start") > step)).groupBy("media_id", "k").agg(F.min("speaker").alias("hyp"))
-    both = ref.join(hyp, ["media_id", "k"], "left")
-    common = both.where("hyp is not null").groupBy("media_id", "hyp", "ref").count()
-    mapped = common.groupBy("media_id", "hyp").agg(F.max_by("ref", F.struct("count", "ref")).alias("as_ref"))
-    judged = both.join(mapped, ["media_id", "hyp"], "left")
-    return judged.groupBy("media_id").agg((F.count("*") * step).alias("scored"), (F.count(F.when(~F.col("ref").eqNullSafe(F.col("as_ref")), 1)) * step).alias("errors")).withColumn("der", F.col("errors") / F.col("scored"))
+    ceil = lambda x: F.ceil(F.col(x) / step).cast("long")
+    # the steps of a turn that aren't near its ends: near is monotone in the step, so a step at each rounded bound decides
+    after = lambda k: (k * step - F.col("start")) >= collar
+    before = lambda k: (F.col("end") - k * step) >= collar
+
+    def exact(guess: Column, holds: Callable[[Column], Column]) -> Column:
+        """The first of guess - 2 .. guess + 2 for which it holds, else guess + 3."""
+        found = F.lit(3)
+        for k in (2, 1, 0, -1, -2):
+            found = F.when(holds(guess + k), k).otherwise(found)
+        return guess + found
+
+    inner = exact(F.ceil((F.col("start") + collar) / step).cast("long"), after)
+    outer = exact(F.ceil((F.col("end") - collar) / step).cast("long"), lambda k: ~before(k))
+    sides = []
+    for side, turns in enumerate((reference, hypothesis)):
+        some = turns.where(F.col("end") - F.col("start") > step)
+        bounds = (inner, outer) if side == 0 else (F.lit(None).cast("long"), F.lit(None).cast("long"))
+        sides.append(some.select("media_id", F.lit(side).alias("side"), ceil("start").alias("a"), ceil("end").alias("b"), bounds[0].alias("x"), bounds[1].alias("y"), "speaker"))
+    kind = dict(sides[0].dtypes)["media_id"]
+
+    def swept(key: tuple, turns: pa.Table) -> pa.Table:
+        column = lambda c: turns[c].fill_null(0).to_numpy()
+        names = turns["speaker"].to_pylist()
+        rank = {s: i for i, s in enumerate(sorted({s for s in names if s is not None}, key=lambda s: s.encode() if isinstance(s, str) else s))}
+        speaker = np.array([rank.get(s, -1) for s in names], np.int64)
+        side = column("side")
+        if turns["media_id"][0].as_py() is None:  # no medium: nothing to compare with
+            side = np.where(side == 1, 2, side)
+        scored, wrong = _judged(side, np.c_[column("a"), column("b"), column("x"), column("y")].astype(np.int64), speaker)
+        return pa.table({"media_id": turns["media_id"].slice(0, 1), "scored": pa.array([scored]), "wrong": pa.array([wrong])})
+
+    each = sides[0].union(sides[1]).groupBy("media_id").applyInArrow(swept, SCORED.format(kind=kind)).where("scored > 0")
+    return each.select("media_id", (F.col("scored") * step).alias("scored"), (F.col("wrong") * step).alias("errors")).withColumn("der", F.col("errors") / F.col("scored"))
