@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talktide.llm.common import conf, dense, discard, documents_of, flat_words, grouped, mix64, narrow, pack, pack_blocks, partitions_for, ragged, release, rows_of, runs, scratch_table, unpack, word_hashes
+from talktide.llm.common import conf, discard, documents_of, flat_words, grouped, mix64, narrow, pack, pack_blocks, partitions_for, ragged, release, rows_of, runs, scratch_table, unpack, word_hashes
 
 MU = 8.0  # pseudo-count of the back-off distribution in each context
 STEPS = 4096  # codes in a power of ten
@@ -42,7 +42,7 @@ FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20  # text whose n-grams of one order a shard holds, on average
 ORDER = 3  # of the query's model
-PASSES = 3  # in which the shards of the last order are asked, so that the exchange of one is gone before the next one's
+PASSES = 2  # in which the shards of the last order are asked, so that the exchange of one is gone before the next one's
 END = ""  # the end of a text, and the context of its first word
 
 
@@ -57,6 +57,8 @@ class Bits:
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Position of the k-th (from 0) one or zero."""
+        if len(k) * 8 >= len(self.words) * 64:  # so many that all positions are found in one pass
+            return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little") == bit)[k]
         before = self.before if bit else np.arange(len(self.before), dtype=np.int64) * 64 - self.before
         w = np.searchsorted(before, k, "right") - 1
         word = self.words[w] if bit else ~self.words[w]
@@ -177,14 +179,17 @@ class Trie:
             codes(MU / (total + MU)), codes(p), *steps,
         ])
 
-    def _next(self, step: int, node: np.ndarray, known: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _next(self, step: int, node: np.ndarray, known: np.ndarray, word: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words behind their nodes, or the ones numbered `of`, in the next level, and whether they are there."""
         pointers, words = self.steps[step]
         if not words.n:
-            return np.zeros_like(node), np.zeros_like(known)
+            return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
         node = np.where(known, node, 0)
+        start, end = pointers[node].astype(np.int64), pointers[node + 1].astype(np.int64)
+        if of is not None:
+            node, known, start, end = node[of], known[of], start[of], end[of]
         at, there = words.successor(np.where(known, node * self.n_words + word, 0))
-        there &= known & (at >= pointers[node].astype(np.int64)) & (at < pointers[node + 1].astype(np.int64))
-        return np.minimum(at, words.n - 1), there
+        return np.minimum(at, words.n - 1), there & known & (at >= start) & (at < end)
 
     def find(self, columns: list[np.ndarray], context: np.ndarray, word: np.ndarray, below: np.ndarray) -> np.ndarray:
         """The codes of n-grams: columns: the words of contexts; context: of each n-gram, its number there; below: its code without its first word."""
@@ -194,7 +199,7 @@ class Trie:
         for k, column in enumerate(columns[1:]):
             node, known = self._next(k, node, known, column)
         back = np.where(known, self.back_off[np.where(known, node, 0)], 0).astype(np.int64)
-        at, there = self._next(len(columns) - 1, node[context], known[context], word)
+        at, there = self._next(len(columns) - 1, node, known, word, context)
         return np.where(there, self.codes[at] if len(self.codes) else 0, below + back[context]).astype(np.int64)
 
 
@@ -273,6 +278,25 @@ def _word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(summed, "block long, bucket long, payload binary, n long, v long")
 
 
+def _ordered(key: np.ndarray) -> np.ndarray:
+    """A stable argsort; keys of few bits are sorted together with their places, which is several times faster."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()) >= 1 << (63 - bits):
+        return np.argsort(key, kind="stable")
+    packed = (key << bits) | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every distinct key, in order, the place of its first occurrence; the number of every key."""
+    by = _ordered(key)
+    first = runs(key[by])
+    number = np.empty(len(key), np.int64)
+    number[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(by)]))
+    return by[first], number
+
+
 def _gaps(ascending: np.ndarray) -> np.ndarray:
     return narrow(np.diff(ascending, prepend=0))
 
@@ -303,7 +327,7 @@ class Grams:
         # what precedes the first token of a text is the end of the one before, the block's last one for the first
         context = self.gram[at - 1]
         key = context * len(self.number) + self.token[at]
-        by = np.argsort(key, kind="stable")
+        by = _ordered(key)
         first = runs(key[by])
         self.many, self.at = np.diff(np.r_[first, len(by)]), at[by]
         head = self.at[first]
@@ -319,7 +343,7 @@ class Grams:
             hashed = mix64(hashed + mix64(self.number[c]))
         hot = self.before_total[self.context] > self.hot  # would fill a shard by itself: split by successor
         shard = (mix64(hashed + np.where(hot, mix64(self.number[self.columns[-1]]), np.uint64(0))) % np.uint64(self.shards)).astype(np.int64)
-        self.by = np.argsort(shard, kind="stable")
+        self.by = _ordered(shard)
         self.edge = np.searchsorted(shard[self.by], np.arange(self.shards + 1))
 
     def sent(self, turn: int | None) -> Iterator[tuple[int, bytes]]:
@@ -354,23 +378,23 @@ class Grams:
 def _merge(group: list[list], order: int) -> tuple:
     """Payloads of one shard, numbered alike: (numbers of words, words' counts, contexts' words, totals, n-grams' context, word, learned, code below, n-gram of each sent one)."""
     numbers = [np.cumsum(x[0], dtype=np.int64) for x in group]
-    words, index = np.unique(np.concatenate(numbers), return_inverse=True)
+    words = np.concatenate(numbers)
+    head, index = _distinct(words)
+    words = words[head]
     base = np.cumsum([0, *map(len, numbers)])
     of = lambda k, gaps: [np.cumsum(x[k], dtype=np.int64) if gaps else x[k].astype(np.int64) for x in group]
     own = lambda k, gaps=False: np.concatenate([index[b + x] for b, x in zip(base, of(k, gaps), strict=False)])
     columns = [own(k + 1, k == 0) for k in range(order - 1)]
     key, at = columns[0], order
     for c in columns[1:]:
-        key = dense(key)[0] * len(words) + c
-    _, head, of_sent = np.unique(key, return_index=True, return_inverse=True)
+        key = _distinct(key)[1] * len(words) + c
+    head, of_sent = _distinct(key)
     totals = np.concatenate([x[at] for x in group])[head].astype(np.int64)
     base_context = np.cumsum([0, *(len(x[at]) for x in group)])
     context = np.concatenate([of_sent[b + x] for b, x in zip(base_context, of(at + 1, True), strict=False)])
     word = own(at + 2)
-    gram, n = dense(context * len(words) + word)
-    learned = np.bincount(gram, np.concatenate([x[at + 3] for x in group]), minlength=n).astype(np.int64)
-    first = np.zeros(n, np.int64)
-    first[gram] = np.arange(len(gram))
+    first, gram = _distinct(context * len(words) + word)
+    learned = np.bincount(gram, np.concatenate([x[at + 3] for x in group]), minlength=len(first)).astype(np.int64)
     counts, below = None, np.concatenate([x[at + 4] for x in group]).astype(np.int64)
     if order == 2:
         counts = np.zeros(len(words), np.int64)

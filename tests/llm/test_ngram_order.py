@@ -77,3 +77,18 @@ def test_levels_are_mapped(tmp_path):
     arrays = [ngram.np.arange(5), ngram.np.arange(3, dtype="<u2"), ngram.np.zeros(0, "<u8"), ngram.np.arange(7, dtype="<u8")]
     ngram.stored(str(tmp_path / "x"), arrays)
     assert [x.tolist() for x in ngram.mapped(str(tmp_path / "x"))] == [x.tolist() for x in arrays]
+
+
+def test_few_and_many_selected():
+    raw = ngram.np.random.default_rng(2).integers(0, 2, 6400).astype("u1")
+    bits = ngram.Bits(ngram._words(raw))
+    for bit in (0, 1):
+        places = ngram.np.flatnonzero(raw == bit)
+        assert bits.select(ngram.np.arange(len(places)), bit).tolist() == places.tolist()
+        assert [int(bits.select(ngram.np.array([k]), bit)[0]) for k in range(0, len(places), 7)] == places[::7].tolist()
+
+
+def test_order_of_few_and_many_bits():
+    draw = ngram.np.random.default_rng(3)
+    for key in (draw.integers(0, 50, 1000), draw.integers(0, 50, 1000) << 55, ngram.np.zeros(0, int)):
+        assert ngram._ordered(key).tolist() == ngram.np.argsort(key, kind="stable").tolist()
