@@ -7,7 +7,8 @@ blocks' token counts, separator counts and last separators; a stream is what one
 never runs over the whole corpus in one task.
 
 Writing needs no other file system than Spark's: the text writer puts each document's bytes as they are, and the
-separator is its line separator. That is why separators are numbers whose bytes are UTF-8.
+separator is its line separator. That is why separators are numbers whose bytes are UTF-8. A record of the writer is what
+a batch of documents became, so files are bounded by bytes and not by documents: Spark reads a file as one value.
 """
 
 from __future__ import annotations
@@ -25,27 +26,30 @@ from talktide.llm.common import bound_batches, documents_of, scratch_dir
 #: Width in bytes -> separator: the UTF-8 bytes of U+0110 and U+10000, beyond the ids of any vocabulary that fits.
 SEPARATORS = {2: 0xC490, 4: 0xF0908080}
 BLOCK = 1 << 20
-PER_FILE = 20_000  # documents in a file
+BATCH = 1 << 20  # bytes of texts whose tokens are one record
+PER_FILE = 16  # records in a file
+SLICE = 16  # blocks that Python gets at once
 
 
 def write(docs: DataFrame, path: str, ranks: str, pattern: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the tokens of docs, a null text as no tokens, to flat files at path; one stream per partition, in the order of its rows."""
     spark, separator = docs.sparkSession, SEPARATORS[width]
-    bound_batches(spark)
+    bound_batches(spark, BATCH)
     pieces = read_ranks(ranks)
     if len(pieces) > separator:
         raise ValueError("the vocabulary has the separator's id")
     shared = spark.sparkContext.broadcast(serialise(pieces))
+    line = separator.to_bytes(width, "big")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
             ids = own.encode_batch(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_pydict({"tokens": pa.array([np.frombuffer(x, "<u4").astype(f">u{width}").tobytes() for x in ids], pa.binary())})
+            if ids:  # the writer puts the last separator
+                yield pa.RecordBatch.from_pydict({"tokens": pa.array([line.join(np.frombuffer(x, "<u4").astype(f">u{width}").tobytes() for x in ids)], pa.binary())})
 
     tokens = documents_of(docs, id_col, text_col).select("text").mapInArrow(encoded, "tokens binary")
-    line = separator.to_bytes(width, "big").decode()
-    tokens.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", line).option("maxRecordsPerFile", PER_FILE).text(path)
+    tokens.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", line.decode()).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def blocks(spark: SparkSession, path: str, width: int = 2, separator: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -55,16 +59,21 @@ def blocks(spark: SparkSession, path: str, width: int = 2, separator: int | None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     whole = F.when(F.col("length") % width == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("not a whole number of tokens: "), "path")))
-    cut = files.where("length > 0").select(F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("stream"), F.coalesce(F.try_to_number(F.regexp_extract(name, r"-c(\d+)(?:\.[a-z]+)?$", 1), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long")).alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((whole - 1) / block))).alias("block"))
-    pieces = cut.select("stream", "file", "block", F.substring("content", (F.col("block") * block + 1).cast("int"), F.lit(block)).alias("raw"))
+    cut = files.where("length > 0").select(F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("stream"), F.coalesce(F.try_to_number(F.regexp_extract(name, r"-c(\d+)(?:\.[a-z]+)?$", 1), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long")).alias("file"), "content", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((whole - 1) / (SLICE * block)))).alias("slice"))
+    # a file of one slice, as write() makes them, is sent as it is: each substring would first copy the whole file
+    of_slice = F.when(F.col("length") <= SLICE * block, F.col("content")).otherwise(F.substring("content", (F.col("slice") * (SLICE * block) + 1).cast("int"), F.lit(SLICE * block)))
+    pieces = cut.select("stream", "file", "slice", of_slice.alias("raw"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = block // width
         for batch in batches:
-            tokens = [np.frombuffer(raw.as_buffer(), f">u{width}") for raw in batch.column(3)]
-            yield pa.RecordBatch.from_pydict({
-                "stream": batch.column(0), "file": batch.column(1), "block": batch.column(2), "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
-                "found": pa.array([np.flatnonzero(t == mark) for t in tokens], pa.list_(pa.int64())),
-            })
+            for stream, file, part, raw in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                tokens = np.frombuffer(raw.as_buffer(), f">u{width}")
+                each = [tokens[i : i + step] for i in range(0, len(tokens), step)]
+                yield pa.RecordBatch.from_pydict({
+                    "stream": pa.array([stream] * len(each), pa.int64()), "file": pa.array([file] * len(each), pa.int64()), "block": pa.array(range(part * SLICE, part * SLICE + len(each)), pa.int64()),
+                    "n_tokens": pa.array([len(t) for t in each], pa.int64()), "found": pa.array([np.flatnonzero(t == mark) for t in each], pa.list_(pa.int64())),
+                })
 
     return pieces.mapInArrow(searched, "stream long, file long, block long, n_tokens long, found array<long>")
 

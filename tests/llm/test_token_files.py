@@ -55,3 +55,27 @@ def test_counts(spark, awkward, empty, tmp_path, monkeypatch):
 def test_query_agrees_with_the_encoder(spark):
     counts = op1_token_counts(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens").collect()
     assert sorted(counts) == sorted(op8_byte_bpe(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens").collect())
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH", 1 << 12)
+    monkeypatch.setattr(token_files, "PER_FILE", 4)
+    text = "some words of a document, " * 20
+    spark.range(400).selectExpr("id doc_id", f"if(id % 7 = 0, '', '{text}') text").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    token_files.write(stored, f"file://{tmp_path}/out", ranks_path(), pre_token_pattern())
+    sizes = [os.path.getsize(tmp_path / "out" / f) for f in os.listdir(tmp_path / "out") if f.startswith("part-")]
+    assert len(sizes) > 4 and max(sizes) < 4 * (1 << 13)
+    found = token_files.counts(stored, ranks_path(), pre_token_pattern())
+    n = len(bpe.codec(bpe.serialise(bpe.read_ranks(ranks_path())), pre_token_pattern()).encode(text)) // 4
+    assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == [(i, n if i % 7 else 0) for i in range(400)]
+
+
+def test_slices_of_a_large_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 2)
+    flat = np.arange(1000, dtype=">u2")
+    flat[::37] = token_files.SEPARATORS[2]
+    (tmp_path / "part-00000-x-c000.txt").write_bytes(flat.tobytes())
+    found = token_files.blocks(spark, f"file://{tmp_path}", block=128).orderBy("block").collect()
+    assert [(r.block, r.n_tokens) for r in found] == [(i, min(64, 1000 - 64 * i)) for i in range(16)]
+    assert [64 * r.block + x for r in found for x in r.found] == list(range(0, 1000, 37))
